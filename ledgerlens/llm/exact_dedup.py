@@ -107,6 +107,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the complement reverses the order of ids without overflow, and null is the least
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("c"), F.bitwise_not("row").alias("r")))
     groups = maybe.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+    groups = written(groups, "exact-groups")  # apart from the join, which can then split a hot group's rows
     grouped = maybe.join(groups, "digest").select(
         "doc_id", F.bitwise_not("best.c").alias("keep_id"), "group_size", (F.col("row") == F.bitwise_not("best.r")).alias("kept"), sha
     )
