@@ -27,8 +27,8 @@ _CACHE: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P^0..P^(n-1) and their inverses modulo 2^64."""
     if len(_CACHE.get("up", ())) < n:
-        n = max(n, PIECE + 64)
-        _CACHE["up"], _CACHE["down"] = _powers(P, n), _powers(pow(P, -1, 1 << 64), n)
+        most = max(n, PIECE + 64)
+        _CACHE["up"], _CACHE["down"] = _powers(P, most), _powers(pow(P, -1, 1 << 64), most)
     return _CACHE["up"][:n], _CACHE["down"][:n]
 
 
