@@ -15,7 +15,9 @@ from .common import documents, parts_for, whole
 
 SEED = "shards-1"
 SHARDS = 24
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
+#: One task adds up the ranges, so their number is bounded; beyond it each holds more rows.
+MOST_RANGES = 50_000
 
 
 def proportional_shards(
@@ -29,7 +31,7 @@ def proportional_shards(
     """
     docs = docs.drop("shard", "slot")
     n = docs.count()
-    ranges = parts_for(n, rows_per_range)
+    ranges = min(MOST_RANGES, parts_for(n, rows_per_range))
     tie_break = [F.col(tie).cast("string")] if tie else []
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), *tie_break)).alias("key")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
