@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, sharding, simhash
+from . import decontaminate, exact_dedup, mixing, sharding, simhash, toxicity
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sharding": sharding.op8_sharding,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE = {"op4_exact_dedup": exact_dedup.OP4_SQL}
