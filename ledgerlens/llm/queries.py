@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, mixing, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, license_scan, line_dedup, mixing, sharding, simhash, toxicity
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sharding": sharding.op8_sharding,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE = {"op4_exact_dedup": exact_dedup.OP4_SQL}
+ORACLE = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
+    "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op9_license_scan": license_scan.OP9_SQL,
+}
