@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, mixing, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, license_scan, line_dedup, mixing, pfp_dedup, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_suffix_array_dedup": pfp_dedup.op1_suffix_array_dedup,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_suffix_array_dedup": pfp_dedup.op1_suffix_array_dedup,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op9_license_scan": license_scan.OP9_SQL,
