@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, mixing, pfp_dedup, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, license_scan, line_dedup, mixing, pfp_dedup, secret_scan, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": pfp_dedup.op1_suffix_array_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_simhash": simhash.op5_simhash,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_sharding": sharding.op8_sharding,
     "op9_license_scan": license_scan.op9_license_scan,
