@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.normalize import BLANKS, is_blank, normalize_token, round2, stripped
 from ..functions.similarity import ratio
@@ -109,20 +110,21 @@ def matched(value: str, words: list[str], labels: list[int]) -> list[int]:
     return used
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _mean_confidence(value: pd.Series, normalized: pd.Series, confidence: pd.Series, labels: pd.Series) -> pd.Series:
     out = []
     for v, words, conf, at in zip(value, normalized, confidence, labels, strict=True):
         spots = matched(v or "", list(words), [int(x) for x in at])
-        out.append(float(np.mean([conf[k] for k in spots])) if spots else None)
-    return pd.Series(out, dtype="float64").astype(object).where(pd.notna(pd.Series(out, dtype="float64")), None)
+        out.append(float(np.mean([conf[k] for k in spots])) if spots else np.nan)
+    return pd.Series(out, dtype="float64")
 
 
 def ocr_confidence(field: Column, value: Column, words: Column) -> Column:
     """The mean confidence of the words that spell value, rounded half to even; null if none reliably do."""
     ready = prepared_words(words)
     mean = _mean_confidence(stripped(value), F.transform(ready, lambda w: w["normalized"]), F.transform(ready, lambda w: w["confidence"]), label_positions(field, ready))
-    return F.when(~is_blank(value), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), mean)), 0).cast("int"))
+    mean = F.when(~F.isnan(mean), mean)  # between 0 and 100 as the words are
+    return F.when(~is_blank(value), F.bround(mean, 0).cast("int"))
 
 
 def _judged(shown: Column, exact: Column, blank: Column, source: str) -> Column:
