@@ -46,7 +46,8 @@ def with_chunks(docs: DataFrame) -> DataFrame:
 
 def _places(docs: DataFrame) -> DataFrame:
     """The chunks that may be removed: (place, hash, text); a place is (nameless, doc_id, number in the document)."""
-    out = with_chunks(docs).select("doc_id", F.posexplode("chunks").alias("k", "c"))
+    # outer, lest Catalyst infers a filter on the array and computes it twice, and nested in itself
+    out = with_chunks(docs).select("doc_id", F.posexplode_outer("chunks").alias("k", "c"))
     out = out.filter((F.col("c.n_lines") >= LEAST_LINES) & (F.trim(F.replace("c.text", F.lit("\n"), F.lit(""))) != ""))
     return out.select(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "k").alias("place"), F.xxhash64("c.text").alias("hash"), F.col("c.text").alias("text"))
 
