@@ -167,7 +167,7 @@ def fit_network(x: np.ndarray, real: np.ndarray, y: np.ndarray, epochs: int = EP
 # -- fitting ----------------------------------------------------------------------------------------------------------
 
 
-def fit(rows: list[tuple[str, int]]) -> dict:
+def fit(rows: list[tuple[str | bytes | None, int]]) -> dict:
     """The model from (text, label) rows: evidence tables, network, and the score of a text without words."""
     size = 1 << TABLE_BITS
     toxic, all_ = np.zeros(size, np.float32), np.zeros(size, np.float32)
@@ -176,13 +176,14 @@ def fit(rows: list[tuple[str, int]]) -> dict:
     rate = (n_toxic + 0.5) / (n + 1)
     if not 0 < n_toxic < n:  # nothing to tell apart
         return {"table": None, "net": None, "base": rate}
-    docs = [places((text or "").encode()).astype(np.int32) for text, _ in rows]
-    for spots, label in zip(docs, y, strict=True):
-        own = np.unique(spots)
+    texts = [text if isinstance(text, bytes) else (text or "").encode() for text, _ in rows]
+    for text, label in zip(texts, y, strict=True):
+        own = np.unique(places(text))
         all_[own] += 1
         toxic[own] += label
     xs, labels = [], []
-    for spots, label in zip(docs, y, strict=True):
+    for text, label in zip(texts, y, strict=True):  # found again, as holding all places takes ten times the texts' memory
+        spots = places(text)
         if not spots.shape[1]:
             continue
         value = evidence(toxic[spots] - label, all_[spots] - 1, rate)  # without the document's own share
@@ -293,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_by
         held += r.n
         if held > max_bytes:
             break
-        rows.append((r.text, r.l_toxic))
+        rows.append((r.text.encode(), r.l_toxic))
     return fit(rows)
 
 
