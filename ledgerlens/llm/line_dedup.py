@@ -53,14 +53,17 @@ def _places(docs: DataFrame) -> DataFrame:
 
 
 def removed_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, ks): for each document with some, the numbers of its chunks that stand earlier, too."""
+    """(doc_id, ks): for each document with some, the numbers of its chunks that stand earlier, too.
+
+    None of the tables joined here has a bound, so none is broadcast, small as it may be.
+    """
     several = F.min("place") != F.max("place")
     twice = written(_places(docs).groupBy("hash").agg(several.alias("several")).filter("several").select("hash"), "lines-hashes")
-    again = written(_places(docs).join(twice, "hash", "left_semi"), "lines-repeated")
+    again = written(_places(docs).join(twice.hint("merge"), "hash", "left_semi"), "lines-repeated")
     # grouping by the text itself compares bytes; a hot chunk is summed up before it is shuffled
     first = again.groupBy("hash", "text").agg(F.min("place").alias("first"), several.alias("several")).filter("several")
     first = written(first.select(F.col("hash").alias("f_hash"), F.col("text").alias("f_text"), "first"), "lines-first")
-    late = again.join(first, (F.col("hash") == F.col("f_hash")) & (F.col("text") == F.col("f_text")) & (F.col("place") != F.col("first")))
+    late = again.join(first.hint("merge"), (F.col("hash") == F.col("f_hash")) & (F.col("text") == F.col("f_text")) & (F.col("place") != F.col("first")))
     return late.groupBy("place.doc_id").agg(F.collect_set("place.k").alias("ks"))
 
 
@@ -76,7 +79,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     gone = removed_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole(F.col("text")).alias("text")))
     gone = gone.select(F.col("doc_id").alias("g_id"), "ks")
     rows = docs.select(F.struct(*rest).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").isNull().alias("is_null"), whole(F.col("text")).alias("text"))
-    rows = with_chunks(rows.join(gone, F.col("id").eqNullSafe(F.col("g_id")), "left"))
+    rows = with_chunks(rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("g_id")), "left"))
     ks = F.coalesce("ks", F.expr("cast(array() as array<int>)"))
     kept = F.filter("chunks", lambda c, k: ~F.array_contains(ks, k))
     rows = rows.select("row", "is_null", F.size("lines").alias("n"), F.size("chunks").alias("c"), kept.alias("kept"), "text")
