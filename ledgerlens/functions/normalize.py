@@ -6,6 +6,8 @@ what NUMBER matches, so NaN, infinities and digit separators are not numbers her
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def stripped(value: Column) -> Column:
     return F.btrim(F.coalesce(value, F.lit("")), F.lit(BLANKS))
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it; branches of CASE share nothing otherwise."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def is_blank(value: Column) -> Column:
     return stripped(value) == ""
 
@@ -59,42 +66,50 @@ def _one_mark(v: Column) -> Column:
 
 def comparison_amount(value: Column) -> Column:
     """For comparing: what is no number comes back upper-cased."""
-    v = _one_mark(without(stripped(value), "$", "€", "₹", "Rs.", "Rs", " "))
-    return two_decimals(v, F.upper(v))
+    bare = without(stripped(value), "$", "€", "₹", "Rs.", "Rs", " ")
+    return let(let(bare, _one_mark), lambda v: two_decimals(v, F.upper(v)))
 
 
 def extracted_amount(value: Column) -> Column:
     """For extraction: several dots and no comma are thousands marks; what is no number comes back as it is."""
-    v = F.regexp_replace(without(F.coalesce(value, F.lit("")), "$", "€", "₹"), r"\s+", "")
-    many_dots = ~v.contains(",") & (F.length(v) - F.length(without(v, ".")) > 1)
-    v = F.when(many_dots, without(v, ".")).otherwise(_one_mark(v))
-    return two_decimals(v, v)
+
+    def marked(v: Column) -> Column:
+        many_dots = ~v.contains(",") & (F.length(v) - F.length(without(v, ".")) > 1)
+        return F.when(many_dots, without(v, ".")).otherwise(_one_mark(v))
+
+    bare = F.regexp_replace(without(F.coalesce(value, F.lit("")), "$", "€", "₹"), r"\s+", "")
+    return let(let(bare, marked), lambda v: two_decimals(v, v))
 
 
 def drafted_amount(value: Column) -> Column:
     """For drafts of the truth: commas go where there is a dot; of several the last may part two decimals; else blank."""
-    v = without(stripped(value), "₹", "$", "€", "£", " ")
-    commas = F.length(v) - F.length(without(v, ","))
-    last = F.substring_index(v, ",", -1)
-    v = (
-        F.when(v.rlike(r"\A[0-9]+[.,][0-9]{2}\z"), F.replace(v, F.lit(","), F.lit(".")))
-        .when((commas > 0) & v.contains("."), without(v, ","))
-        .when((commas > 1) & (F.length(last) == 2), F.concat(without(F.regexp_replace(v, r",[^,]*\z", ""), ","), F.lit("."), last))
-        .when(commas > 1, without(v, ","))
-        .otherwise(v)
-    )
-    return two_decimals(v, F.lit(""))
+
+    def marked(v: Column) -> Column:
+        commas = F.length(v) - F.length(without(v, ","))
+        last = F.substring_index(v, ",", -1)
+        return (
+            F.when(v.rlike(r"\A[0-9]+[.,][0-9]{2}\z"), F.replace(v, F.lit(","), F.lit(".")))
+            .when((commas > 0) & v.contains("."), without(v, ","))
+            .when((commas > 1) & (F.length(last) == 2), F.concat(without(F.regexp_replace(v, r",[^,]*\z", ""), ","), F.lit("."), last))
+            .when(commas > 1, without(v, ","))
+            .otherwise(v)
+        )
+
+    return let(let(without(stripped(value), "₹", "$", "€", "£", " "), marked), lambda v: two_decimals(v, F.lit("")))
 
 
 def normalize_value(field: Column, value: Column, dot_dates: bool = True) -> Column:
     """The form in which values of a field are compared. dot_dates: dots part a date as dashes do."""
-    v = F.regexp_replace(stripped(value), r"\s+", " ")
-    return (
-        F.when(field.isin(IDENTIFIERS), F.upper(F.regexp_replace(v, "[^A-Za-z0-9]", "")))
-        .when(field == DATE, F.upper(F.translate(v, "-." if dot_dates else "-", "//" if dot_dates else "/")))
-        .when((v != "") & field.isin(AMOUNTS), comparison_amount(v))
-        .otherwise(F.upper(v))
-    )
+
+    def of(v: Column) -> Column:
+        return (
+            F.when(field.isin(IDENTIFIERS), F.upper(F.regexp_replace(v, "[^A-Za-z0-9]", "")))
+            .when(field == DATE, F.upper(F.translate(v, "-." if dot_dates else "-", "//" if dot_dates else "/")))
+            .when((v != "") & field.isin(AMOUNTS), comparison_amount(v))
+            .otherwise(F.upper(v))
+        )
+
+    return let(F.regexp_replace(stripped(value), r"\s+", " "), of)
 
 
 def normalize_token(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .normalize import normalize_value, round2
+from .normalize import let, normalize_value, round2
 
 
 def accuracy_of(predicted: Column, actual: Column) -> Column:
@@ -22,13 +23,18 @@ def match_of(predicted: Column, actual: Column) -> Column:
     return F.when(actual == "", None).otherwise((predicted != "") & (predicted == actual))
 
 
+def _both(field: Column, predicted: Column, actual: Column, f: Callable[[Column, Column], Column]) -> Column:
+    pair = F.struct(normalize_value(field, predicted).alias("p"), normalize_value(field, actual).alias("a"))
+    return let(pair, lambda x: f(x["p"], x["a"]))
+
+
 def character_accuracy(field: Column, predicted: Column, actual: Column) -> Column:
-    return accuracy_of(normalize_value(field, predicted), normalize_value(field, actual))
+    return _both(field, predicted, actual, accuracy_of)
 
 
 def field_matches(field: Column, predicted: Column, actual: Column) -> Column:
     """Null without a truth, else whether the normalised values are equal."""
-    return match_of(normalize_value(field, predicted), normalize_value(field, actual))
+    return _both(field, predicted, actual, match_of)
 
 
 def ratio(a: str, b: str) -> float:
