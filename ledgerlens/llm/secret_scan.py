@@ -18,7 +18,7 @@ from .common import WORD, documents, whole
 
 LEAST = 16
 RUN = "[A-Za-z0-9_+/=~.-]{16,}"
-FINDINGS = 4200
+FINDINGS = 5000
 TREES, DEPTH = 24, 7
 
 # fixed values: words that stand beside secrets, words that stand beside harmless strings, and a small dictionary
@@ -74,7 +74,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     pick = lambda salt, options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
     words = lambda k, sep: F.concat_ws(sep, *[pick(f"w{j}", DICTIONARY) for j in range(k)])
     syllables = ["an", "er", "th", "on", "in", "re", "st", "ou", "ly", "ti", "tion", "ing", "ung", "keit", "lich", "sch", "ver", "eau", "ment", "que", "asta", "cion", "aos"]
-    spoken = lambda k: F.concat_ws("", *[pick(f"s{j}", syllables) for j in range(k)])
+    spoken = lambda k: F.concat_ws("", *[pick(f"s{k}-{j}", syllables) for j in range(k)])
     keyed = pick("k", ["token", "TOKEN", "secret", "api_key", "password", "auth_token", "client_secret", "access_key", "Authorization:", "private"])
     plain = pick("p", ["commit", "sha256", "md5", "checksum", "uuid", "digest", "build", "revision"])
     text = spoken(3)
@@ -89,6 +89,10 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (1, F.substring(alnum("h"), 1, 24), keyed, sign),
         (0, spoken(7), text, F.lit("")),
         (0, F.upper(spoken(6)), text, F.lit("")),
+        (0, F.initcap(spoken(6)), text, F.lit("")),
+        (0, F.initcap(spoken(8)), spoken(2), F.lit("")),
+        (0, F.concat(pick("h", ["mail", "www", "ftp", "api", "user"]), F.substring(F.regexp_replace(draw("t"), "[a-f]", ""), 1, 1), F.lit("."), words(1, "."), pick("i", [".com", ".example.com", ".org", ".net"])), text, F.lit("")),
+        (0, F.concat_ws(".", spoken(3), spoken(4)), text, F.lit("")),
         (0, F.concat(words(4, "_")), text, sign),
         (0, F.concat_ws("/", words(3, "/"), words(2, "-")), text, F.lit("")),
         (0, F.concat(words(3, "."), F.lit(".com/"), words(2, "/")), F.lit("http://"), F.lit("")),
