@@ -130,7 +130,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, word_no, core, before, word): every candidate of every text, with the two words before it."""
     words = F.regexp_extract_all(whole(F.col("text")), F.lit(WORD), F.lit(0))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
-    rows = rows.select("doc_id", "words", F.posexplode("words").alias("i", "word")).filter((F.length("word") >= LEAST) & F.col("word").rlike(RUN))
+    # outer, lest Catalyst infers a filter on the array and so finds the words twice
+    rows = rows.select("doc_id", "words", F.posexplode_outer("words").alias("i", "word")).filter((F.length("word") >= LEAST) & F.col("word").rlike(RUN))
     at = lambda k: F.when(F.col("i") >= k, F.col("words")[F.greatest(F.col("i") - k, F.lit(0))])
     rows = rows.select("doc_id", F.col("i").cast("long").alias("word_no"), F.concat_ws(" ", at(2), at(1)).alias("before"), "word", F.explode(F.regexp_extract_all("word", F.lit(RUN), F.lit(0))).alias("core"))
     # an assignment inside the run belongs to the words beside it, and closing marks to none
