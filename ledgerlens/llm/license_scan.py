@@ -82,7 +82,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = F.size("w").cast("long").alias("n_words")
     firsts = F.concat(F.array(F.lit("")), F.col("w"))  # the extra first pair ("", "") meets the extra template
     seconds = F.concat(F.array(F.lit("")), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))))
-    rows = rows.select("row", "doc_id", n, F.posexplode(F.arrays_zip(firsts.alias("a"), seconds.alias("b"))).alias("i", "g"))
+    # outer, lest Catalyst infers a filter on the array and so finds the words twice; no array is empty
+    rows = rows.select("row", "doc_id", n, F.posexplode_outer(F.arrays_zip(firsts.alias("a"), seconds.alias("b"))).alias("i", "g"))
     grams = rows.select("row", "doc_id", "n_words", (F.col("i") - 1).alias("i"), F.col("g.a").alias("a"), F.col("g.b").alias("b"))
     grams = grams.withColumn("gram", F.xxhash64("a", "b"))
     t = F.broadcast(_templates(spark))  # a fixed list
