@@ -148,18 +148,11 @@ def contaminated(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYT
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the rows that overlap an item. Rows without an id are judged by their text alone, too."""
+    """docs without the rows that overlap an item. A row is judged by its text alone, whatever its id or other rows of it."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     key = F.xxhash64(whole(F.col("text")))
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), key.alias("h"))
-    named = docs.filter(F.col("doc_id").isNotNull())
-    bad = contaminated(named.select("doc_id", "text"), items).select(F.col("doc_id").alias("bad")).distinct()
-    out = rows.join(bad, F.col("id") == F.col("bad"), "left_anti")
-    nameless = docs.filter(F.col("doc_id").isNull()).select(key.alias("doc_id"), "text")
-    if not nameless.isEmpty():
-        bad = contaminated(nameless, items).select(F.col("doc_id").alias("bad_h")).distinct()
-        out = out.join(bad, F.col("id").isNull() & (F.col("h") == F.col("bad_h")), "left_anti")
-    return out.select("row.*")
+    bad = contaminated(docs.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("bad")).distinct()
+    return docs.select(row, key.alias("h")).join(bad, F.col("h") == F.col("bad"), "left_anti").select("row.*")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
