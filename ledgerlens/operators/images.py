@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..schemas import IMAGE, METHODS
 
 THRESHOLD, BLOCK, OFFSET = 150, 11, 2
+#: Pixels of the images that are denoised at once.
+STACK = 1 << 13
 
 
 def to_gray(img: np.ndarray) -> np.ndarray:
@@ -52,19 +54,24 @@ def adaptive_threshold(img: np.ndarray) -> np.ndarray:
 
 def denoise(img: np.ndarray, h: float = 3.0, patch: int = 7, search: int = 21) -> np.ndarray:
     """Non-local means on gray: each pixel the mean of those around it, weighted by the likeness of their patches."""
-    gray = to_gray(img).astype(np.float64)
+    return denoised(to_gray(img)[None], h, patch, search)[0]
+
+
+def denoised(grays: np.ndarray, h: float = 3.0, patch: int = 7, search: int = 21) -> np.ndarray:
+    """denoise of each gray image of a stack; all have one shape."""
+    gray = grays.astype(np.float64)
     p, s = patch // 2, search // 2
-    wide = np.pad(gray, s + p, mode="reflect" if min(gray.shape) > s + p else "edge")
-    rows, cols = gray.shape
-    centre = wide[s : s + rows + 2 * p, s : s + cols + 2 * p]
+    _, rows, cols = gray.shape
+    wide = np.pad(gray, ((0, 0), (s + p, s + p), (s + p, s + p)), mode="reflect" if min(rows, cols) > s + p else "edge")
+    centre = wide[:, s : s + rows + 2 * p, s : s + cols + 2 * p]
     total, weights = np.zeros_like(gray), np.zeros_like(gray)
     for dy in range(search):
         for dx in range(search):
-            other = wide[dy : dy + rows + 2 * p, dx : dx + cols + 2 * p]
-            square = np.pad(np.cumsum(np.cumsum((other - centre) ** 2, axis=0), axis=1), ((1, 0), (1, 0)))
-            distance = (square[patch:, patch:] - square[:-patch, patch:] - square[patch:, :-patch] + square[:-patch, :-patch]) / patch**2
+            other = wide[:, dy : dy + rows + 2 * p, dx : dx + cols + 2 * p]
+            square = np.pad(np.cumsum(np.cumsum((other - centre) ** 2, axis=1), axis=2), ((0, 0), (1, 0), (1, 0)))
+            distance = (square[:, patch:, patch:] - square[:, :-patch, patch:] - square[:, patch:, :-patch] + square[:, :-patch, :-patch]) / patch**2
             w = np.exp(-np.maximum(distance, 0) / h**2)
-            total += w * other[p : p + rows, p : p + cols]
+            total += w * other[:, p : p + rows, p : p + cols]
             weights += w
     return np.clip(np.floor(total / weights + 0.5), 0, 255).astype(np.uint8)
 
@@ -115,7 +122,17 @@ def variants(images: DataFrame, chosen: list[str] | None = None) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            made = [encoded(KERNELS[m](decoded(p if isinstance(p, dict) else p.asDict()))) for p, m in zip(rows["pixels"], rows["method"], strict=True)]
+            pictures = [decoded(p if isinstance(p, dict) else p.asDict()) for p in rows["pixels"]]
+            made = [None if KERNELS[m] is denoise else encoded(KERNELS[m](img)) for img, m in zip(pictures, rows["method"], strict=True)]
+            stacks: dict[tuple, list[int]] = {}
+            for k, img in enumerate(pictures):
+                if made[k] is None:
+                    stacks.setdefault(img.shape[:2], []).append(k)
+            for (height, width), ks in stacks.items():
+                each = max(1, STACK // max(1, height * width))
+                for at in range(0, len(ks), each):
+                    for k, img in zip(ks[at : at + each], denoised(np.stack([to_gray(pictures[k]) for k in ks[at : at + each]])), strict=True):
+                        made[k] = encoded(img)
             yield pd.DataFrame({"image": rows["image"], "method_id": rows["method_id"], "method": rows["method"], "variant": made})
 
     return todo.mapInPandas(run, f"image string, method_id int, method string, variant {IMAGE}")

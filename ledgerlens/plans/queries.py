@@ -553,7 +553,7 @@ def image_variants(spark, sf_dir):
     """Sizes and sums of all seven variants of small images made from parts."""
     key = F.col("p_partkey")
     pixels = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: F.array(F.lpad(F.hex((i * 37 + key * 11) % 256), 2, "0"))))
-    pictures = table(spark, sf_dir, "part").filter("p_partkey <= 200").select(
+    pictures = table(spark, sf_dir, "part").select(
         F.concat(F.lit("part_"), key.cast("string")).alias("image"), F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), F.unhex(F.array_join(pixels, "")).alias("data")).alias("pixels")
     )
     v = F.col("variant")
