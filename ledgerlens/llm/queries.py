@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLE = {
-    "op1_suffix_array_dedup": pfp_dedup.op1_suffix_array_dedup,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op9_license_scan": license_scan.OP9_SQL,
