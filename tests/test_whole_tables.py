@@ -17,3 +17,11 @@ def test_stacks_are_denoised_like_single_images():
     for shape in [(8, 8), (30, 17), (1, 5)]:
         stack = rng.integers(0, 256, (5, *shape), np.uint8)
         assert np.array_equal(images.denoised(stack), np.stack([images.denoise(g) for g in stack]))
+
+
+def test_every_reading_has_a_ratio(spark, sf):
+    got = queries.QUERIES["fuzzy_ratio"](spark, sf)
+    every = queries.readings(spark, sf)
+    assert got.count() == every.count()
+    joined = got.join(every, ["image", "method", "field"])
+    assert joined.filter("predicted = actual and ratio != 1").isEmpty() and not joined.filter("predicted != actual and ratio < 1").isEmpty()
