@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@cache
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and all runs on this machine
+    (tests) it is a temporary one; on a cluster its absence is an error, as executors would write to folders of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_dir()
 
 
 def _forget(spark: SparkSession, path: str) -> None:
@@ -45,6 +53,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forgotten(table: DataFrame) -> None:
+    """Deletes the files of a table made by written() that nothing will read again."""
+    folder = table.inputFiles()
+    if folder:
+        _forget(table.sparkSession, folder[0].rsplit("/", 1)[0])
+
+
 def whole(text: Column) -> Column:
     """The text, null as the empty one."""
     return F.coalesce(text.cast("string"), F.lit(""))
