@@ -458,3 +458,21 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, block_bytes: int = BLOCK_BYT
 
 def op1_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (SELECT row, doc_id, x, unnest(range(0, len(x) // 2 - {LENGTH - 1})) AS pos FROM d),
+b AS (SELECT row, doc_id, pos, unhex(substr(x, 2 * pos + 1, {2 * LENGTH})) AS string FROM w),
+s AS (SELECT row, doc_id, pos, min(doc_id) OVER (PARTITION BY string) AS least FROM b),
+g AS (SELECT row, pos FROM s WHERE least IS NOT NULL AND (doc_id IS NULL OR least < doc_id)),
+n AS (SELECT *, coalesce(pos > lag(pos) OVER (PARTITION BY row ORDER BY pos) + {LENGTH}, true) AS fresh FROM g),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY row ORDER BY pos) AS run FROM n),
+spans AS (SELECT row, run, min(pos) AS lo, max(pos) + {LENGTH} AS hi FROM r GROUP BY row, run),
+k AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY row ORDER BY lo), 0) AS since FROM spans),
+o AS (
+  SELECT d.row, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS kept
+  FROM d JOIN k ON d.row = k.row GROUP BY d.row)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN o ON d.row = o.row
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_suffix_array_dedup": pfp_dedup.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
     "op9_license_scan": license_scan.OP9_SQL,
