@@ -27,7 +27,10 @@ from .tokens import chunks, mixed, word_hashes
 MASKS = ("1111", "11101", "11011", "10111")
 WINDOW = 13
 SHARE = 0.8
-BLOCK_BYTES = 32 << 20
+#: Text of a block of the test set; its index takes about twelve times as much.
+BLOCK_BYTES = 8 << 20
+#: Hits, and compared words, that are held at a time.
+PAIRS = 1 << 20
 
 
 def needed(n_words: int) -> tuple[int, int]:
@@ -51,36 +54,65 @@ def masks_for(n_words: int) -> tuple[str, ...]:
 
 
 def build_index(items: list[tuple[int | None, str | None]]) -> dict:
-    """Seeds of all items, by mask: sorted hashes with the item's number and the position; and the items' words."""
+    """The items' words, and by mask their seeds: the distinct ones in order, and the places (item, at) in order of
+    keys, which are the number of a place's seed and of the seed before it in its item (0 for none)."""
     tokens = [word_hashes([(text or "").encode()])[0] for _, text in items]
     by_mask: dict[str, list] = {}
     for i, words in enumerate(tokens):
         if len(words):
             for mask in masks_for(len(words)):
                 seeds = _seeds(words, mask)
-                by_mask.setdefault(mask, []).append((seeds, np.full(len(seeds), i), np.arange(len(seeds))))
+                by_mask.setdefault(mask, []).append((seeds, np.full(len(seeds), i, np.int32), np.arange(len(seeds), dtype=np.int32)))
     index = {}
     for mask, parts in by_mask.items():
         seeds, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(seeds, kind="stable")
-        seeds, item, at = seeds[order], item[order], at[order]
+        distinct, number = np.unique(seeds, return_inverse=True)
+        before = np.append([0], number[:-1] + 1)
+        before[at == 0] = 0
+        keys = number.astype(np.int64) << 32 | before
+        order = np.argsort(keys, kind="stable")
         bits = np.zeros(1 << 20, np.bool_)
-        bits[(seeds >> np.uint64(44)).astype(np.int64)] = True
-        index[mask] = (seeds, item, at, bits)
+        bits[(distinct >> np.uint64(44)).astype(np.int64)] = True
+        index[mask] = (distinct, keys[order], item[order], at[order], bits)
     return {"ids": [k for k, _ in items], "tokens": tokens, "masks": index}
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(pos, place) for all places lo..hi of each pos, about PAIRS at a time."""
+    n = hi - lo
+    total = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+        some = n[a:b]
+        yield np.repeat(pos[a:b], some), np.repeat(lo[a:b] - (np.cumsum(some) - some), some) + np.arange(some.sum())
+        a = b
+
+
 def alignments(index: dict, words: np.ndarray) -> np.ndarray:
-    """(item, offset) rows, distinct: where an item's first word would stand in words."""
+    """(item, offset) rows, distinct: where an item's first word would stand in words.
+
+    A place that follows another hit on the same diagonal says nothing new: of a run of hits only the first is
+    expanded, so repeated words in text and item do not meet each with each.
+    """
     found = []
-    for mask, (seeds, item, at, bits) in index["masks"].items():
+    for mask, (distinct, keys, item, at, bits) in index["masks"].items():
         here = _seeds(words, mask)
         pos = np.flatnonzero(bits[(here >> np.uint64(44)).astype(np.int64)])
-        lo, hi = np.searchsorted(seeds, here[pos], "left"), np.searchsorted(seeds, here[pos], "right")
-        n = hi - lo
-        if n.any():
-            flat = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            found.append(np.stack([item[flat], np.repeat(pos, n) - at[flat]], axis=1))
+        number = np.minimum(np.searchsorted(distinct, here[pos]), len(distinct) - 1)
+        hit = distinct[number] == here[pos]
+        pos, number = pos[hit], number[hit].astype(np.int64)
+        if not len(pos):
+            continue
+        before = np.full(len(here) + 1, len(distinct) + 1, np.int64)  # a number that no place has
+        before[pos + 1] = number + 1
+        same = number << 32 | before[pos]
+        lo, hi = np.searchsorted(keys, number << 32), np.searchsorted(keys, number + 1 << 32)
+        known, further = np.searchsorted(keys, same), np.searchsorted(keys, same, "right")
+        for a, b in ((lo, known), (further, hi)):
+            some = b > a
+            for p, k in _ranges(a[some], b[some], pos[some]):
+                found.append(np.unique(np.stack([item[k], p - at[k]], axis=1), axis=0))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
@@ -103,22 +135,52 @@ def overlap(item: np.ndarray, words: np.ndarray, begin: int, end: int, offset: i
 OUT = "doc_id long, item_id long, matched_words long, item_words long, first_word long, last_word long, item_first_word long"
 
 
+def best_overlaps(index: dict, words: np.ndarray, begins: np.ndarray) -> dict[tuple[int, int], tuple]:
+    """For each (document, item) with an overlap the best one, as (agreeing words, -first place, last place, first place
+    in the item); documents are stretches of words. An alignment that reaches over a border concerns each document it touches."""
+    best: dict[tuple[int, int], tuple] = {}
+
+    def keep(d: int, item: int, hit: tuple[int, int, int, int]) -> None:
+        best[d, item] = max(best.get((d, item), (-1,)), hit)
+
+    found = alignments(index, words)
+    cuts = np.append(np.flatnonzero(np.append([True], found[1:, 0] != found[:-1, 0])), len(found)) if len(found) else [0]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        item = int(found[lo, 0])
+        own = index["tokens"][item]
+        size, (w, least) = len(own), needed(len(own))
+        for a in range(lo, hi, max(1, PAIRS // size)):
+            offset = found[a : min(hi, a + max(1, PAIRS // size)), 1]
+            doc = np.searchsorted(begins, offset, "right") - 1
+            inside = (doc >= 0) & (offset + size <= begins[np.minimum(np.maximum(doc, 0) + 1, len(begins) - 1)])
+            if inside.any():  # all alignments within one document at once
+                at, d = offset[inside], doc[inside]
+                same = np.zeros((len(at), size + 1), np.int32)
+                np.cumsum(words[at[:, None] + np.arange(size)] == own, axis=1, out=same[:, 1:])
+                good = same[:, w:] - same[:, :-w] >= least
+                some = np.flatnonzero(good.any(axis=1))
+                first, last = good[some].argmax(axis=1), size - w - good[some][:, ::-1].argmax(axis=1)
+                n = same[some, last + w] - same[some, first]
+                start = at[some] + first - begins[d[some]]
+                order = np.lexsort((start, -n, d[some]))
+                one = order[np.append([True], np.diff(d[some][order]) != 0)[: len(order)]]
+                for k in one:
+                    keep(int(d[some[k]]), item, (int(n[k]), -int(start[k]), int(at[some[k]] + last[k] + w - 1 - begins[d[some[k]]]), int(first[k])))
+            for at in offset[~inside].tolist():
+                for d in range(max(0, int(np.searchsorted(begins, at, "right")) - 1), int(np.searchsorted(begins, at + size - 1, "right"))):
+                    if d + 1 < len(begins) and (hit := overlap(own, words, begins[d], begins[d + 1], at)):
+                        n, first, end = hit
+                        keep(d, item, (n, -int(at - begins[d] + first), int(at - begins[d] + end), first))
+    return best
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for rows, texts in chunks(batches):
             words, begins = word_hashes(texts)
             ids = rows.column("doc_id")
-            best: dict[tuple[int, int], tuple] = {}
-            for item, offset in alignments(index, words):
-                # an alignment that reaches over a document's border concerns each document it touches
-                last = offset + len(index["tokens"][item]) - 1
-                for d in range(max(0, np.searchsorted(begins, offset, "right") - 1), np.searchsorted(begins, last, "right")):
-                    if d + 1 < len(begins) and (hit := overlap(index["tokens"][item], words, begins[d], begins[d + 1], offset)):
-                        n, first, end = hit
-                        at = int(offset - begins[d])
-                        best[d, item] = max(best.get((d, item), (-1,)), (n, -(at + first), at + end, first))
-            if best:
+            if best := best_overlaps(index, words, begins):
                 keys = list(best)
                 cols = [ids.take(pa.array([d for d, _ in keys])), *(pa.array(x, pa.int64()) for x in zip(*((index["ids"][i], best[d, i][0], len(index["tokens"][i]), -best[d, i][1], best[d, i][2], best[d, i][3]) for d, i in keys), strict=True))]
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in OUT.split(", ")])
