@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, whole, written
+from .common import documents, forgotten, whole, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -199,7 +199,8 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "m"), F.struct(F.col("a").alias("x"), "m"))).alias("e"))
-        edges = written(small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).filter("a != b").distinct(), "cc-edges")
+        before, edges = edges, written(small.select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).filter("a != b").distinct(), "cc-edges")
+        forgotten(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).head()
         if tuple(now) == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

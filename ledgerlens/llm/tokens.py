@@ -45,6 +45,17 @@ def _letters() -> np.ndarray:
 LETTERS = _letters()
 
 
+def _unblank() -> np.ndarray:
+    """For each byte its lower-cased value and one, or 0 where it is a blank."""
+    out = np.arange(1, 257, dtype=np.uint16)
+    out[65:91] += 32
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    return out
+
+
+UNBLANK = _unblank()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spreads every bit over all bits."""
     h = h ^ (h >> np.uint64(32))
@@ -56,8 +67,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Words:
     """starts, ends (byte positions in codes) and hashes of the words of one piece."""
 
-    def __init__(self, raw: bytes):
-        codes = LETTERS[np.frombuffer(raw, np.uint8)]
+    def __init__(self, raw: bytes, letters: np.ndarray = LETTERS):
+        codes = letters[np.frombuffer(raw, np.uint8)]
         inside = np.empty(len(codes) + 2, np.bool_)
         inside[0] = inside[-1] = False
         np.not_equal(codes, 0, out=inside[1:-1])
@@ -72,12 +83,12 @@ class Words:
         return (self.sums[e] - self.sums[s]) * self.down[s]
 
 
-def pieces(raw: bytes) -> Iterator[bytes]:
+def pieces(raw: bytes, letters: np.ndarray = LETTERS) -> Iterator[bytes]:
     """raw in parts of about PIECE bytes, cut where no word is."""
     at = 0
     while at < len(raw):
         end = at + PIECE
-        while end < len(raw) and LETTERS[raw[end]]:  # a word may be longer than a piece
+        while end < len(raw) and letters[raw[end]]:  # a word may be longer than a piece
             end += 1
         yield raw[at:end]
         at = end
@@ -97,11 +108,11 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = PI
                 begin, held, texts = i + 1, 0, []
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], letters: np.ndarray = LETTERS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and where each text's begin (one more entry than texts)."""
     if sum(map(len, texts)) <= 2 * PIECE:
-        words = Words(b"\n".join(texts))
+        words = Words(b"\n".join(texts), letters)
         begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
         return words.hashes, np.searchsorted(words.starts, begins)
-    each = [np.concatenate([Words(p).hashes for p in pieces(t)] or [np.zeros(0, np.uint64)]) for t in texts]
+    each = [np.concatenate([Words(p, letters).hashes for p in pieces(t, letters)] or [np.zeros(0, np.uint64)]) for t in texts]
     return np.concatenate(each), np.cumsum([0, *map(len, each)])
