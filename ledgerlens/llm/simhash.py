@@ -8,7 +8,7 @@ follows the number of fingerprints, and never changes the result. A tile with ve
 into chunks, and what it is compared with streams by in batches, so memory is bounded.
 
 Tiles report links as edges to a local root, no more than fingerprints seen. Components come from alternating
-large-star and small-star steps, each written to the shared folder.
+large-star and small-star steps, each written to the shared folder; few edges are united by one task.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ RADIUS = 2
 SHINGLE = 3
 SEED = 42
 CHUNK = 1 << 16
+#: Edges that one task may unite: 16 MB.
+AT_ONCE = 1 << 20
 _ROWS = 255
 
 
@@ -188,9 +190,27 @@ def link_edges(prints: DataFrame, n: int, segments: int | None = None, chunk: in
     return sent.repartition(parts, "tile", "chunk").sortWithinPartitions("tile", "chunk", "guest").mapInArrow(_compare, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b); root is the least node of the component."""
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if ends:
+        a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+        nodes, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+        labels = np.arange(len(nodes))
+        unite(labels, places[: len(a)], places[len(a) :])
+        other = labels != np.arange(len(nodes))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[labels[other]])], ["node", "root"])
+
+
+def components(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """(node, root) for every node of edges (a, b) but the roots; root is the least node of the component.
+
+    Up to at_once edges are united by one task; more in distributed rounds, with the same result.
+    """
     edges = written(edges.filter("a != b").distinct(), "cc-edges")
+    if edges.count() <= at_once:
+        out = written(edges.coalesce(1).mapInArrow(_united, "node long, root long"), "cc-roots")
+        forgotten(edges)
+        return out
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
