@@ -28,6 +28,17 @@ def _both(field: Column, predicted: Column, actual: Column, f: Callable[[Column,
     return let(pair, lambda x: f(x["p"], x["a"]))
 
 
+def certainly_equal(predicted: Column, actual: Column) -> Column:
+    """Equal as they stand, and not blank in any normal form, since digits stay in all of them."""
+    return (predicted == actual) & actual.rlike("[0-9]")
+
+
+def scores(field: Column, predicted: Column, actual: Column) -> Column:
+    """struct(match, accuracy) of one pair; only texts that differ as they stand, or have no digit, are normalised."""
+    found = _both(field, predicted, actual, lambda p, a: F.struct(match_of(p, a).alias("match"), accuracy_of(p, a).alias("accuracy")))
+    return F.when(certainly_equal(predicted, actual), F.struct(F.lit(True).alias("match"), F.lit(100.0).alias("accuracy"))).otherwise(found)
+
+
 def character_accuracy(field: Column, predicted: Column, actual: Column) -> Column:
     return _both(field, predicted, actual, accuracy_of)
 

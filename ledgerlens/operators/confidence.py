@@ -41,6 +41,13 @@ def prepared_words(words: Column) -> Column:
     return F.filter(clean, lambda w: (w["normalized"] != "") & (w["confidence"] >= 0))
 
 
+def named_fields(word: Column, fields: list[str]) -> Column:
+    """Those of fields that one normalised word names, as label_positions has it: literals, so that all compiles."""
+    name = lambda f: "".join(f.split()).upper()
+    names = lambda f: word.contains(name(f)) | F.lit(name(f)).contains(word) | word.isin(ALIASES.get(name(f), []))
+    return F.array_compact(F.array(*[F.when(names(f), F.lit(f)) for f in fields]))
+
+
 def label_positions(field: Column, words: Column) -> Column:
     """Places, from 0, of the prepared words that name the field: equal, containing, contained, or an alias."""
     name = normalize_token(field)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_value, round2
+from ..functions.similarity import certainly_equal
 from ..schemas import AMOUNTS, DATE, FIELDS, IDENTIFIERS
 
 # fixed values: names under which the columns may appear, and the categories
@@ -49,7 +50,7 @@ def error_details(detailed: DataFrame) -> DataFrame:
         raise ValueError(f"no column for {', '.join(lost)} among {', '.join(detailed.columns)}")
     text = lambda k: F.coalesce(F.col(f"`{where[k]}`").cast("string"), F.lit("")) if where[k] else F.lit("")
     rows = detailed.select(*[text(k).alias(k) for k in ("image", "method", "field", "ground_truth", "predicted")])
-    rows = rows.withColumn("field", F.trim("field")).filter(F.col("field").isin(FIELDS))
+    rows = rows.withColumn("field", F.trim("field")).filter(F.col("field").isin(FIELDS) & ~certainly_equal(F.col("predicted"), F.col("ground_truth")))
     rows = rows.withColumns({"_t": normalize_value(F.col("field"), F.col("ground_truth"), False), "_p": normalize_value(F.col("field"), F.col("predicted"), False)})
     wrong = rows.filter(~((F.col("_t") != "") & (F.col("_t") == F.col("_p"))))
     return wrong.withColumn("error_category", error_category(F.col("field"), F.col("_p"))).drop("_t", "_p")

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normalize import mean2, normalize_value, round2
-from ..functions.similarity import accuracy_of, match_of
+from ..functions.normalize import mean2, round2
+from ..functions.similarity import scores
 from ..schemas import AMOUNTS, BASELINE, DEFAULT_METHOD, FIELDS
 
 
@@ -27,21 +27,22 @@ def join_images(truth: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFra
 def scored(pairs: DataFrame) -> DataFrame:
     """pairs (…, field, actual, predicted) with match (null without a truth), exact_match and character_accuracy.
 
-    Each value is normalised once. Without a truth the pair counts as wrong, with accuracy 0, in the detailed table.
+    Without a truth the pair counts as wrong, with accuracy 0, in the detailed table.
     """
-    out = pairs.withColumns({"_a": normalize_value(F.col("field"), F.col("actual")), "_p": normalize_value(F.col("field"), F.col("predicted"))})
-    out = out.withColumns({"match": match_of(F.col("_p"), F.col("_a")), "_acc": accuracy_of(F.col("_p"), F.col("_a"))})
-    return out.withColumns({"exact_match": F.coalesce("match", F.lit(False)), "character_accuracy": F.coalesce("_acc", F.lit(0.0))}).drop("_a", "_p", "_acc")
+    out = pairs.withColumn("_s", scores(F.col("field"), F.col("predicted"), F.col("actual")))
+    return out.withColumns({"match": F.col("_s.match"), "exact_match": F.coalesce("_s.match", F.lit(False)), "character_accuracy": F.coalesce("_s.accuracy", F.lit(0.0))}).drop("_s")
 
 
 def detailed_results(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """Long truth (image, field_id, field, actual) with every method's prediction; a missing one is blank.
 
-    predicted: (image, method, ocr_confidence, field, predicted).
+    predicted: (image, method, ocr_confidence, field, predicted), read once: an image's predictions by one method, few
+    as its fields are, come together before they meet its truth.
     """
-    methods = predicted.select("image", "method", "ocr_confidence").distinct()
-    pairs = truth.join(methods, "image").join(predicted.select("image", "method", "field", "predicted"), ["image", "method", "field"], "left")
-    return scored(pairs.withColumn("predicted", F.coalesce("predicted", F.lit(""))))
+    got = predicted.groupBy("image", "method").agg(F.collect_set(F.struct("ocr_confidence")).alias("_runs"), F.collect_list(F.struct("field", "predicted")).alias("_got"))
+    pairs = truth.join(got.select("image", "method", F.explode("_runs").alias("_run"), "_got"), "image").withColumn("ocr_confidence", F.col("_run.ocr_confidence"))
+    pairs = pairs.withColumn("_hit", F.explode_outer(F.filter("_got", lambda g: g["field"] == F.col("field"))))
+    return scored(pairs.withColumn("predicted", F.coalesce("_hit.predicted", F.lit(""))).drop("_got", "_hit", "_run"))
 
 
 def _rate(part: Column, whole: Column) -> Column:

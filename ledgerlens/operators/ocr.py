@@ -61,6 +61,39 @@ def joined_text(words: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: w["text"]), " ")
 
 
+def lined_text(boxes: Column) -> Column:
+    """The words of boxes, in their order, with a line end where one begins more than half its height off the line's first."""
+    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("int").alias("top"))
+
+    def add(line: Column, b: Column) -> Column:
+        same = F.abs(b["top"] - line["top"]) * 2 <= b["height"]
+        text = F.when(line["top"].isNull(), b["text"]).otherwise(F.concat(line["text"], F.when(same, " ").otherwise("\n"), b["text"]))
+        return F.struct(text.alias("text"), F.when(same, line["top"]).otherwise(b["top"]).alias("top"))
+
+    return F.aggregate(box_words(boxes), start, add)["text"]
+
+
+def primary_text(plain: Column, words: Column) -> Column:
+    """The engine's plain text, or where that is blank the words it boxed."""
+    return F.when(F.btrim(F.coalesce(plain, F.lit("")), F.lit(BLANKS)) != "", plain).otherwise(joined_text(words))
+
+
+def plain_texts(variants: DataFrame, engine: Callable[[np.ndarray], str]) -> DataFrame:
+    """(image, method, text): what an engine of plain text says, line ends and all; nothing where it fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for v in rows["variant"]:
+                try:
+                    out.append(engine(decoded(v if isinstance(v, dict) else v.asDict())))
+                except Exception:  # a picture that cannot be read has no text, and the batch goes on
+                    out.append("")
+            yield pd.DataFrame({"image": rows["image"], "method": rows["method"], "text": out})
+
+    return variants.select("image", "method", "variant").mapInPandas(run, "image string, method string, text string")
+
+
 def ocr_table(recognised: DataFrame) -> DataFrame:
     """(image, method, text, words, n_words, n_chars) from ocr_boxes."""
     words = usable_words(F.col("boxes"))

@@ -79,7 +79,12 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(order_key, image, pos, text, confidence); some confidences are -1, which stands for none."""
     out = texts(spark, sf_dir).select("order_key", "image", F.posexplode(F.split("text", " ")).alias("pos", "text"))
-    return out.withColumn("confidence", ((F.col("order_key") * 3 + F.col("pos") * 29) % 102 - 1).cast("double"))
+    return out.withColumn("confidence", word_confidence(F.col("pos")))
+
+
+def word_confidence(pos: Column) -> Column:
+    """Of the word at a place of the text of order_key."""
+    return ((F.col("order_key") * 3 + pos * 29) % 102 - 1).cast("double")
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, normalize, similarity, validate
 from ..operators import confidence, errors, evaluate, images, kpi, parties, reports, review
-from ..schemas import FIELDS
+from ..schemas import FIELDS, METHODS
 from . import invoices as inv
 from .invoices import FACTS_SQL, INVOICES_SQL, READINGS_SQL, TEXTS_SQL, facts, readings, table
 from .invoices import sql_mean2, sql_normalized, sql_one_mark, sql_round2, sql_strip, sql_two_decimals, texts, truth, words
@@ -132,10 +132,7 @@ def dashboard_overview(spark, sf_dir):
 @query(f"WITH {FACTS_SQL} SELECT image, method, ocr_confidence, field, actual, predicted, exact_match, character_accuracy FROM facts")
 def detailed_results(spark, sf_dir):
     """The general way: long truth joined with long predictions."""
-    read = readings(spark, sf_dir)
-    predicted = read.filter("predicted != ''").select("image", "method", "ocr_confidence", "field", "predicted")
-    every = read.select("image", "method", "ocr_confidence", "field", "predicted").filter("predicted = ''")
-    out = evaluate.detailed_results(truth(spark, sf_dir), predicted.unionByName(every))
+    out = evaluate.detailed_results(truth(spark, sf_dir), readings(spark, sf_dir).select("image", "method", "ocr_confidence", "field", "predicted"))
     return out.select("image", "method", "ocr_confidence", "field", "actual", "predicted", "exact_match", "character_accuracy")
 
 
@@ -194,7 +191,7 @@ def normalize_values(spark, sf_dir):
     return readings(spark, sf_dir).select("image", "method", "field", normalize.normalize_value(f, v).alias("normalized"), normalize.normalize_value(f, v, False).alias("normalized_dots_kept"))
 
 
-MONEY = r"[$€£]?\s*[0-9][0-9\s,.]{0,9}[0-9]|Rs[.]? ?[0-9]+"
+MONEY = r"[$€£]?\s*[0-9][0-9\s,.]*[0-9]|Rs[.]? ?[0-9]+"
 _bare = lambda v, parts: v if not parts else _bare(f"replace({v}, '{parts[0]}', '')", parts[1:])
 MONEY_SQL = f"""money AS (
   SELECT doc_id, v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{MONEY}')) AS v FROM documents)
@@ -317,7 +314,7 @@ def clean_text(spark, sf_dir):
 
 VALUES_SQL = READINGS_SQL + """,
 vals AS (
-  SELECT image AS id, method, field, predicted AS value FROM readings WHERE method IN ('Original', 'Threshold', 'Adaptive')
+  SELECT image AS id, method, field, predicted AS value FROM readings
   UNION ALL SELECT 'o' || o_orderkey, 'orders', 'Total Amount', CASE WHEN o_orderkey % 4 = 0 THEN '-' || o_orderkey WHEN o_orderkey % 4 = 1 THEN '1,' || o_orderkey || '.50' WHEN o_orderkey % 4 = 2 THEN '₹' || o_orderkey ELSE o_orderkey || 'x' END FROM orders
   UNION ALL SELECT 'c' || c_custkey, 'customer', 'Company Name', CASE WHEN c_custkey % 3 = 0 THEN substr(c_name, 1, 2) WHEN c_custkey % 3 = 1 THEN CAST(c_custkey + 1000 AS VARCHAR) ELSE c_name END FROM customer
   UNION ALL SELECT 'c' || c_custkey, 'customer', 'Account Number', CASE WHEN c_custkey % 2 = 0 THEN ' 1234 ' || c_custkey ELSE c_name END FROM customer
@@ -328,7 +325,7 @@ vals AS (
 
 def _values(spark, sf_dir):
     """(id, method, field, value): readings, and values of the fields that invoices here do not have."""
-    read = readings(spark, sf_dir).filter(F.col("method").isin("Original", "Threshold", "Adaptive")).select(F.col("image").alias("id"), "method", "field", F.col("predicted").alias("value"))
+    read = readings(spark, sf_dir).select(F.col("image").alias("id"), "method", "field", F.col("predicted").alias("value"))
     text = lambda c: F.col(c).cast("string")
     o, c, s = (table(spark, sf_dir, n) for n in ("orders", "customer", "supplier"))
     ok, ck, sk = F.col("o_orderkey"), F.col("c_custkey"), F.col("s_suppkey")
@@ -453,17 +450,18 @@ _aliases = ", ".join(f"('{k}', '{a}')" for k, v in confidence.ALIASES.items() fo
 
 
 def _word_arrays(spark, sf_dir):
-    """(order_key, image, words): the words of each image in one array, in order."""
-    all_ = F.array_sort(F.collect_list(F.struct("pos", "text", "confidence")))
-    return words(spark, sf_dir).groupBy("order_key", "image").agg(F.transform(all_, lambda w: F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"))).alias("words"))
+    """(order_key, image, words): the words of each image in one array, in order; a text is one row already."""
+    word = lambda t, pos: F.struct(t.alias("text"), inv.word_confidence(pos).alias("confidence"))
+    return texts(spark, sf_dir).select("order_key", "image", F.transform(F.split("text", " "), word).alias("words"))
 
 
 @query(f"""WITH {PREPARED_SQL}, f(field, name) AS (VALUES {', '.join(f"('{f}', '{''.join(f.split()).upper()}')" for f in FIELDS)}), al(name, alias) AS (VALUES {_aliases})
 SELECT image, field, spot AS position FROM ready JOIN f ON contains(w, name) OR contains(name, w) OR EXISTS (SELECT 1 FROM al WHERE al.name = f.name AND alias = w)""")
 def label_positions(spark, sf_dir):
-    each = F.explode(F.array(*map(F.lit, FIELDS))).alias("field")
-    rows = _word_arrays(spark, sf_dir).select("image", confidence.prepared_words(F.col("words")).alias("ready")).select("image", "ready", each)
-    return rows.select("image", "field", F.explode(confidence.label_positions(F.col("field"), F.col("ready"))).alias("position")).withColumn("position", F.col("position").cast("long"))
+    ready = F.transform(confidence.prepared_words(F.col("words")), lambda w: w["normalized"])
+    # outer, lest Catalyst infers a filter on the array and prepares the words twice
+    rows = _word_arrays(spark, sf_dir).select("image", F.posexplode_outer(ready).alias("position", "word")).filter("word is not null")
+    return rows.select("image", F.explode(confidence.named_fields(F.col("word"), FIELDS)).alias("field"), F.col("position").cast("long").alias("position"))
 
 
 @query(f"""WITH {PREPARED_SQL}, g AS (SELECT image, spot, w AS n1, w || lead(w, 1) OVER o AS n2, w || lead(w, 1) OVER o || lead(w, 2) OVER o AS n3, w || lead(w, 1) OVER o || lead(w, 2) OVER o || lead(w, 3) OVER o AS n4 FROM ready WINDOW o AS (PARTITION BY image ORDER BY spot))
@@ -538,7 +536,7 @@ def report_lines(spark, sf_dir):
 
 @query(None)
 def comparison_report(spark, sf_dir):
-    summary = evaluate.method_summary(facts(spark, sf_dir)).withColumn("ord", F.xxhash64("method"))
+    summary = evaluate.method_summary(facts(spark, sf_dir)).withColumn("ord", F.array_position(F.lit(METHODS), F.col("method")))
     return reports.comparison_report(_runs(spark, sf_dir), evaluate.winner(summary))
 
 
