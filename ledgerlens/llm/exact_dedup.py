@@ -22,6 +22,9 @@ from .common import unblanked, whole, written
 BITS_PER_ROW = 16
 PROBES = 4
 CHUNK_BITS = 1 << 16
+#: A task sets its bits for bits / ROWS_SHARE rows, and BRANCHES groups of tasks are merged first.
+ROWS_SHARE, BRANCHES = 512, 64
+PART = "chunk int, once binary, twice binary"
 
 
 def _probes(digests: pa.Array, bits: int) -> np.ndarray:
@@ -58,7 +61,11 @@ def _merge_parts(table: pa.Table) -> pa.Table:
     for a, b in zip(table.column("once"), table.column("twice"), strict=True):
         a, b = np.frombuffer(a.as_py(), np.uint8), np.frombuffer(b.as_py(), np.uint8)
         once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-    return pa.table({"chunk": table.column("chunk")[:1].combine_chunks(), "twice": pa.array([twice.tobytes()], pa.binary())})
+    return pa.table({"chunk": table.column("chunk")[:1].combine_chunks(), "once": pa.array([once.tobytes()], pa.binary()), "twice": pa.array([twice.tobytes()], pa.binary())})
+
+
+def _merge_branch(table: pa.Table) -> pa.Table:
+    return _merge_parts(table.drop_columns("branch"))
 
 
 def _marked(bits: int, shared):
@@ -76,8 +83,10 @@ def repeated_marks(narrow: DataFrame, n: int, max_filter_bits: int = 1 << 27) ->
     """narrow (with a 32-byte column digest) and a boolean column maybe, false only for digests that occur once."""
     spark = narrow.sparkSession
     bits = min(max_filter_bits, 1 << max(10, (BITS_PER_ROW * max(n, 1) - 1).bit_length()))
-    parts = narrow.select("digest").mapInArrow(_filter_parts(bits), "chunk int, once binary, twice binary")
-    merged = parts.groupBy("chunk").applyInArrow(_merge_parts, "chunk int, twice binary")
+    # parts follow the rows, not the input's partitions, so that what is merged does; it is merged in two levels
+    parts = narrow.select("digest").coalesce(max(1, n * ROWS_SHARE // bits)).mapInArrow(_filter_parts(bits), PART)
+    branches = parts.withColumn("branch", F.spark_partition_id() % BRANCHES).groupBy("branch", "chunk").applyInArrow(_merge_branch, PART)
+    merged = branches.groupBy("chunk").applyInArrow(_merge_parts, PART).select("chunk", "twice")
     twice = np.zeros(bits // 8, np.uint8)
     each = min(bits, CHUNK_BITS) // 8
     for row in merged.toLocalIterator():  # bits / 8 bytes at most
