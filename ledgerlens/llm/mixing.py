@@ -17,6 +17,8 @@ from .common import documents, n_words, whole, written
 SEED = 7
 FAN = 64
 MOST = 3
+#: Equal rows that one task numbers.
+BLOCK = 1 << 16
 
 
 def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
@@ -80,6 +82,18 @@ def _round_level(units: DataFrame, level: int) -> DataFrame:
     return groups.select("source", "source_size", "target", "grp", folded.alias("f"))
 
 
+def _numbered(counted: DataFrame) -> DataFrame:
+    """Each row of counted (…, count) so often, with rep from 1. Rows of very many are dealt out in blocks first, so that
+    no array nor task holds them all."""
+    rest = [c for c in counted.columns if c != "count"]
+    upto = lambda a, b: F.explode(F.sequence(a, b)).alias("rep")
+    one = F.lit(1).cast("long")
+    few = counted.filter(F.col("count") <= BLOCK).select(*rest, upto(one, F.col("count")))
+    blocks = counted.filter(F.col("count") > BLOCK).select(*rest, "count", F.explode(F.sequence(one, F.col("count"), F.lit(BLOCK).cast("long"))).alias("begin"))
+    many = blocks.repartition(*rest, "begin").select(*rest, upto(F.col("begin"), F.least(F.col("count"), F.col("begin") + BLOCK - 1)))
+    return few.unionByName(many)
+
+
 def mix_plan(sizes: DataFrame, most: int = MOST, fan: int = FAN) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) from rows (doc_id, source, size), one for each row.
 
@@ -90,7 +104,7 @@ def mix_plan(sizes: DataFrame, most: int = MOST, fan: int = FAN) -> DataFrame:
     targets = written(source_targets(sizes, most), "mix-targets")
     largest = targets.agg(F.max("n_docs")).head()[0] or 0
     # equal rows become one row with a count first, so that a hot id does not gather anywhere
-    rows = sizes.groupBy("doc_id", "source", "size").count().withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).drop("count")
+    rows = _numbered(sizes.groupBy("doc_id", "source", "size").count())
     t = targets.withColumnRenamed("source", "t_source")
     rows = rows.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     ratio = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
