@@ -24,8 +24,8 @@ from .tokens import PIECE, Words, chunks, mixed, pieces
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 6
-#: The bound of the training sample: rows, and bytes of their texts.
-TRAIN_ROWS, TRAIN_BYTES = 4000, 16 << 20
+#: The bound of the training sample: rows, bytes of their texts, and bytes of one text.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_TEXT = 4000, 16 << 20, 2 << 20
 TABLE_BITS = 20
 AFFIXES = (3, 4, 5, 6)
 INPUTS = 2 + 2 * len(AFFIXES)
@@ -282,15 +282,16 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES, max_text: int = TRAIN_TEXT) -> dict:
     """The model from a sample of the labelled rows outside the held-out fifth: at most max_rows, in order of a hash
-    of their ids, and no more than max_bytes of text. Null labels and ids are left out."""
+    of their ids, no more than max_bytes of text, and of it no text of more than max_text bytes. Null labels and ids are
+    left out. Scoring reads texts of any length whole."""
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.select(F.col("doc_id").alias("l_id"), F.col("toxic").alias("l_toxic"), F.md5(F.col("doc_id").cast("string")).alias("l_key")).orderBy("l_key").limit(max_rows)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
     found = found.select("l_key", F.col("l_toxic").cast("int").alias("l_toxic"), whole(F.col("text")).alias("text"), F.octet_length(whole(F.col("text"))).alias("n"))
     rows, held = [], 0
-    for r in found.filter(F.col("n") <= max_bytes // 8).orderBy("l_key", "text").limit(max_rows).toLocalIterator():
+    for r in found.filter(F.col("n") <= max_text).orderBy("l_key", "text").limit(max_rows).toLocalIterator():
         held += r.n
         if held > max_bytes:
             break
