@@ -219,3 +219,34 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP7_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+i0 AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+i AS (SELECT item, item_id, w, len(w) AS n, least({WINDOW}, len(w)) AS win, (least({WINDOW}, len(w)) * 4 + 4) // 5 AS least FROM i0 WHERE len(w) > 0),
+dw AS (SELECT row, len(w) AS n_doc, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+iw AS (SELECT item, n, win, least, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM i),
+lines AS (
+  SELECT row, n_doc, item, n, win, least, dw.pos - iw.pos AS off
+  FROM dw JOIN iw ON dw.word = iw.word GROUP BY row, n_doc, item, n, win, least, off HAVING count(*) >= least),
+same AS (
+  SELECT l.row, l.item, l.off, iw.pos
+  FROM lines l JOIN iw ON iw.item = l.item JOIN dw ON dw.row = l.row AND dw.pos = iw.pos + l.off AND dw.word = iw.word),
+windows AS (SELECT row, n_doc, item, n, win, least, off, unnest(range(0, n - win + 1)) AS k FROM lines),
+good AS (
+  SELECT v.row, v.item, v.off, v.n, v.win, v.k
+  FROM windows v JOIN same s ON s.row = v.row AND s.item = v.item AND s.off = v.off AND s.pos >= v.k AND s.pos < v.k + v.win
+  WHERE v.off + v.k >= 0 AND v.off + v.k + v.win <= v.n_doc GROUP BY v.row, v.item, v.off, v.n, v.win, v.k, v.least HAVING count(*) >= v.least),
+spans AS (SELECT row, item, off, n, win, min(k) AS first, max(k) AS last FROM good GROUP BY row, item, off, n, win),
+counted AS (
+  SELECT p.row, p.item, p.off, p.n, p.first, p.off + p.first AS first_word, p.off + p.last + p.win - 1 AS last_word, count(*) AS matched
+  FROM spans p JOIN same s ON s.row = p.row AND s.item = p.item AND s.off = p.off AND s.pos >= p.first AND s.pos < p.last + p.win GROUP BY p.row, p.item, p.off, p.n, p.win, p.first, p.last),
+best AS (SELECT *, row_number() OVER (PARTITION BY row, item ORDER BY matched DESC, first_word, last_word DESC, first DESC) AS nth FROM counted)
+SELECT d.doc_id, i.item_id, matched AS matched_words, b.n AS item_words, first_word, last_word, first AS item_first_word
+FROM best b JOIN d ON d.row = b.row JOIN i ON i.item = b.item WHERE nth = 1
+"""

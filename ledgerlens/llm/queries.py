@@ -21,5 +21,9 @@ ORACLE = {
     "op1_suffix_array_dedup": pfp_dedup.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op8_sharding": sharding.OP8_SQL,
     "op9_license_scan": license_scan.OP9_SQL,
 }
+
+#: These read the table benchmark beside documents.
+ORACLE_WITH_BENCHMARK = {"op7_decontamination": decontaminate.OP7_SQL}

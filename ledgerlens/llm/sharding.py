@@ -63,3 +63,25 @@ def op8_sharding(spark, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select("doc_id", "source", F.octet_length(whole(text)).cast("long").alias("b"), F.crc32(whole(text).cast("binary")).alias("text_crc32"))
     out = proportional_shards(rows, tie="text_crc32")
     return out.select("doc_id", (F.col("b") + 8).alias("size"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _crc32_sql(text: str) -> tuple[str, str]:
+    """CRC-32 of a text's UTF-8 bytes in DuckDB, given the table crc_table; and that table, which follows from the polynomial."""
+    entry = "c"
+    for _ in range(8):
+        entry = f"list_transform([{entry}], lambda v: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)[1]"
+    table = f"(SELECT list_transform(range(0, 256), lambda c: {entry}))"
+    octets = f"list_transform(regexp_extract_all(lower(hex(encode({text}))), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: xor(a >> 8, crc_table[(xor(a, b) & 255) + 1])), 4294967295)", table
+
+
+_CRC, _CRC_TABLE = _crc32_sql("t")
+OP8_SQL = f"""
+WITH tab AS (SELECT {_CRC_TABLE} AS crc_table),
+d AS (SELECT doc_id, coalesce(source, '') AS src, source IS NULL AS none, coalesce(text, '') AS t FROM documents),
+c AS (SELECT doc_id, src, none, strlen(t) + 8 AS size, {_CRC} AS text_crc32 FROM d, tab),
+k AS (SELECT *, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || text_crc32) AS key FROM c),
+r AS (SELECT *, (row_number() OVER (PARTITION BY src, none ORDER BY key, doc_id NULLS LAST) - 0.5::DOUBLE) / (count(*) OVER (PARTITION BY src, none)) AS part FROM k),
+p AS (SELECT *, row_number() OVER (ORDER BY part, key, none, src, doc_id NULLS LAST) - 1 AS place, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * {SHARDS} // n AS INT) AS shard, place - (place * {SHARDS} // n * n + {SHARDS - 1}) // {SHARDS} AS slot, CAST(NULL AS INT) AS grown_shard FROM p
+"""
