@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, mixing, pfp_dedup, secret_scan, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, license_scan, line_dedup, mixing, pfp_dedup, secret_scan, sharding, simhash, simhash_sql, toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": pfp_dedup.op1_suffix_array_dedup,
@@ -21,6 +21,7 @@ ORACLE = {
     "op1_suffix_array_dedup": pfp_dedup.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op5_simhash": simhash_sql.OP5_SQL,
     "op8_sharding": sharding.OP8_SQL,
     "op9_license_scan": license_scan.OP9_SQL,
 }
