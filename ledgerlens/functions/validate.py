@@ -83,6 +83,7 @@ def validate_invoice(fields: Column) -> Column:
 def validation_reason(field: Column, value: Column, reason: Column) -> Column:
     """What to tell a user: the rule's reason, or a sentence by field."""
     low = F.lower(field)
+    # fixed values: the sentences
     text = (
         F.when(low == "invoice date", "Invalid invoice date format. Please check the extracted invoice date.")
         .when(low == "invoice number", "Invalid invoice number format. Please check the extracted invoice number.")

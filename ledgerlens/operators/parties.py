@@ -9,7 +9,7 @@ from ..functions.extract import party_label
 
 LABEL_ROWS, BELOW, REACH, LINES, MARGIN = 1200, 3, 190, 65, 2
 # fixed values: words that are no part of a name
-STOP_WORDS = "seller client invoice no date of issue tax id iban total net vat gross worth amount description quantity price".split()
+STOP_WORDS = ["seller", "client", "invoice", "no", "date", "of", "issue", "tax", "id", "iban", "total", "net", "vat", "gross", "worth", "amount", "description", "quantity", "price"]
 
 
 def party_names(words: DataFrame) -> DataFrame:

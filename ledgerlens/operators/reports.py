@@ -9,6 +9,16 @@ from ..functions.similarity import quality_score
 from ..schemas import DEFAULT_METHOD
 
 
+# fixed values: the report's sentences
+HEAD = "===== OCR METHOD COMPARISON =====\n\nMethod        Words     Characters   OCR Conf.     Time\n" + "-" * 55 + "\n"
+WINNER = "\nDATASET-VALIDATED RECOMMENDATION\nRecommended Method: "
+ACCURACY = "\nGround-truth field accuracy: "
+ADVICE = "\n\nThis recommendation comes from results held against verified values.\nIt is a dataset-level recommendation, not a claim that every individual invoice has the same optimal preprocessing method.\n"
+WITHOUT = (
+    f"\nRECOMMENDED METHOD: {DEFAULT_METHOD}\n\nThe validated benchmark summary was not found.\n{DEFAULT_METHOD} is the project's validated benchmark winner and is used as the configured default.\n"
+)
+
+
 def _wide(value: Column, n: int) -> Column:
     return F.when(F.length(value) < n, F.rpad(value, n, " ")).otherwise(value)
 
@@ -31,16 +41,8 @@ def comparison_report(runs: DataFrame, winner: DataFrame) -> DataFrame:
     The winner comes from verified results, never from the run's own counts; without one the default is named.
     """
     lines = method_lines(runs).agg(F.transform(F.array_sort(F.collect_list(F.struct("method_id", "line"))), lambda x: x["line"]).alias("lines"))
-    # fixed values: the report's sentences
-    head = "===== OCR METHOD COMPARISON =====\n\nMethod        Words     Characters   OCR Conf.     Time\n" + "-" * 55 + "\n"
-    found = F.concat(
-        F.lit("\nDATASET-VALIDATED RECOMMENDATION\nRecommended Method: "), F.col("method"), F.lit("\nGround-truth field accuracy: "), F.format_string("%.2f%%", F.col("accuracy")),
-        F.lit("\n\nThis recommendation comes from results held against verified values.\nIt is a dataset-level recommendation, not a claim that every individual invoice has the same optimal preprocessing method.\n"),
-    )
-    lost = F.lit(
-        f"\nRECOMMENDED METHOD: {DEFAULT_METHOD}\n\nThe validated benchmark summary was not found.\n{DEFAULT_METHOD} is the project's validated benchmark winner and is used as the configured default.\n"
-    )
-    body = F.concat(F.lit(head), F.array_join("lines", "\n"), F.lit("\n"), F.when(F.col("accuracy").isNull(), lost).otherwise(found))
+    found = F.concat(F.lit(WINNER), F.col("method"), F.lit(ACCURACY), F.format_string("%.2f%%", F.col("accuracy")), F.lit(ADVICE))
+    body = F.concat(F.lit(HEAD), F.array_join("lines", "\n"), F.lit("\n"), F.when(F.col("accuracy").isNull(), WITHOUT).otherwise(found))
     return lines.crossJoin(winner).select(body.alias("report"), F.when(F.col("accuracy").isNull(), DEFAULT_METHOD).otherwise(F.col("method")).alias("recommended_method"))  # one row with one row
 
 

@@ -534,7 +534,12 @@ def report_lines(spark, sf_dir):
     return reports.method_lines(_runs(spark, sf_dir))
 
 
-@query(None)
+def _text(x: str) -> str:
+    return " || chr(10) || ".join(f"'{part}'" for part in x.split("\n"))
+
+
+@query(f"""WITH {METHOD_SQL}, lines AS (SELECT string_agg(line, chr(10) ORDER BY method_id) AS lines FROM ({ORACLE['report_lines']})), best AS (SELECT method, aggregate_field_accuracy AS accuracy FROM summary ORDER BY aggregate_field_accuracy DESC, list_position({METHODS}, method) LIMIT 1)
+SELECT {_text(reports.HEAD)} || lines || chr(10) || {_text(reports.WINNER)} || method || {_text(reports.ACCURACY)} || printf('%.2f%%', accuracy) || {_text(reports.ADVICE)} AS report, method AS recommended_method FROM lines, best""")
 def comparison_report(spark, sf_dir):
     summary = evaluate.method_summary(facts(spark, sf_dir)).withColumn("ord", F.array_position(F.lit(METHODS), F.col("method")))
     return reports.comparison_report(_runs(spark, sf_dir), evaluate.winner(summary))
