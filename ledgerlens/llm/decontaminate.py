@@ -162,7 +162,7 @@ def best_overlaps(index: dict, words: np.ndarray, begins: np.ndarray) -> dict[tu
                 first, last = good[some].argmax(axis=1), size - w - good[some][:, ::-1].argmax(axis=1)
                 n = same[some, last + w] - same[some, first]
                 start = at[some] + first - begins[d[some]]
-                order = np.lexsort((start, -n, d[some]))
+                order = np.lexsort((-first, -(at[some] + last), start, -n, d[some]))  # as max() has it
                 one = order[np.append([True], np.diff(d[some][order]) != 0)[: len(order)]]
                 for k in one:
                     keep(int(d[some[k]]), item, (int(n[k]), -int(start[k]), int(at[some[k]] + last[k] + w - 1 - begins[d[some[k]]]), int(first[k])))
