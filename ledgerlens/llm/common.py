@@ -60,6 +60,12 @@ def forgotten(table: DataFrame) -> None:
         _forget(table.sparkSession, folder[0].rsplit("/", 1)[0])
 
 
+def swept(spark: SparkSession) -> None:
+    """Asks the driver's JVM for a garbage collection: its heap shrinks, and Spark deletes shuffle files and broadcasts that
+    no plan refers to any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole(text: Column) -> Column:
     """The text, null as the empty one."""
     return F.coalesce(text.cast("string"), F.lit(""))
